@@ -1,0 +1,28 @@
+"""Counts per app and periods of use (TESTDATA.md, problems 5 and 6)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from core.llm.store import GAP_MS, live, table
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apps held by at least 5 % of all rows as delivered; rows without an app count in the whole."""
+    counts = table(spark, sf_dir, "observations").groupBy("app_id").agg(F.count("*").alias("n"))
+    whole = counts.agg(F.sum("n").alias("whole"))
+    return counts.crossJoin(F.broadcast(whole)).where("app_id is not null and n * 20 >= whole").select("app_id")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periods of a device: a gap of GAP_MS or more ends one."""
+    order = Window.partitionBy("device_id").orderBy("ts", "id")
+    rows = live(spark, sf_dir, "ts")
+    begins = F.coalesce(F.col("ts") - F.lag("ts").over(order) >= GAP_MS, F.lit(True))
+    rows = rows.withColumn("begins", begins.cast("int"))
+    rows = rows.withColumn("period", F.sum("begins").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return (
+        rows.groupBy("device_id", "period")
+        .agg(F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"))
+        .select("device_id", "start_ts", "end_ts")
+    )

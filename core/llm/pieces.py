@@ -1,0 +1,51 @@
+"""Recorded pieces that can't be used (TESTDATA.md, problem 4)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from core.llm.store import table
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts whose pieces break the row ``piece`` of size_limits; bytes are measured, byte_len is not read."""
+    limit = table(spark, sf_dir, "size_limits").where("name = 'piece'").select("capacity", "overlap")
+    texts = table(spark, sf_dir, "text_versions").select(
+        "vrow", "device_id", F.col("id").alias("text_version_id"), F.encode("text", "UTF-8").alias("bytes")
+    )
+    pieces = table(spark, sf_dir, "chunks").select(
+        "device_id", "text_version_id", "ord", F.col("offset").alias("at"), (F.col("offset") + F.col("len")).alias("end")
+    )
+    order = Window.partitionBy("device_id", "text_version_id").orderBy("ord", "at", "end")
+    pieces = pieces.select(
+        "*",
+        F.lag("at").over(order).alias("last_at"),
+        F.lag("end").over(order).alias("last_end"),
+        F.row_number().over(order).alias("k"),
+        F.lead(F.lit(1)).over(order).isNull().alias("last"),
+    )
+    size = F.coalesce(F.length("bytes"), F.lit(0))
+    cut = lambda at: (F.col(at) < size) & F.hex(F.expr(f"substring(bytes, cast({at} as int) + 1, 1)")).rlike("^[89AB]")
+    shared = F.least("end", "last_end") - F.greatest("at", "last_at")
+    bad = (
+        F.when(F.col("k").isNull(), size > F.col("capacity"))
+        .when(F.col("at").isNull() | F.col("end").isNull(), True)
+        .otherwise(
+            (F.col("end") - F.col("at") > F.col("capacity"))
+            | (F.col("end") < F.col("at"))
+            | (F.col("at") < 0)
+            | (F.col("end") > size)
+            | ((F.col("k") == 1) & (F.col("at") != 0))
+            | (F.col("last") & (F.col("end") != size))
+            | cut("at")
+            | cut("end")
+            | F.coalesce(shared < F.col("overlap"), F.lit(False))
+        )
+    )
+    return (
+        texts.join(pieces, ["device_id", "text_version_id"], "left")
+        .crossJoin(F.broadcast(limit))
+        .where(bad)
+        .select("vrow")
+        .distinct()
+    )

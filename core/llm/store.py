@@ -1,0 +1,22 @@
+"""Tables of the activity store (TESTDATA.md) and the rows that count as live."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+GAP_MS = 300_000
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def live(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Observations neither deleted nor imported, each (device_id, id) once, all of a device in one partition."""
+    return (
+        table(spark, sf_dir, "observations")
+        .where("deleted_at is null and origin_device is null")
+        .select("device_id", "id", *columns)
+        .repartition("device_id")
+        .dropDuplicates(["device_id", "id"])
+    )

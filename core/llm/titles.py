@@ -1,0 +1,42 @@
+"""Runs of one screen (TESTDATA.md, problem 2)."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+
+from core.llm.store import GAP_MS, live, table
+
+#: Passing state of a window, before and behind what its title names.
+BEFORE = r"(?:[●•○◦◉*⟳⟲↻🔔🔕🔊🔇🔴✱✳⏸▶⏵\x{2800}-\x{28FF}]\x{FE0F}?|\(\d+\+?(?: ?(?:条未读|unread|new|neue|ungelesen|non lus?|sin leer|não lidas?|непрочитанн\p{L}*))?\)|\[\d+/\d+\]|\d+ ?%)"
+BEHIND = (
+    r"(?:…|\.\.\.|[●•*]|[🔔🔕🔊🔇🔴]\x{FE0F}?|\(\d+\+?(?: ?(?:条未读|unread|new))?\)|\[\d+/\d+\]|\[\d{1,2}:\d{2}(?::\d{2})?\]"
+    r"|\((?:saving|saved|not responding|loading|edited|modified|paused|muted|read[- ]only|offline|syncing)[.…]*\)"
+    r"|[-–—] (?:edited|saved|saving|modified|\d+\+? unread|\d+ ?%))"
+)
+
+
+def screen(title: Column) -> Column:
+    """What a title names, without passing state, case and runs of spaces."""
+    t = F.lower(F.trim(F.regexp_replace(title, r"[\s\x{A0}]+", " ")))
+    t = F.regexp_replace(t, rf"^(?:{BEFORE} ?)+(?=.)", "")
+    return F.trim(F.regexp_replace(t, rf"(?<=.)(?: ?{BEHIND})+$", ""))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Longest runs of two or more rows of one display with one app and one screen, each within GAP_MS of the last."""
+    windows = table(spark, sf_dir, "windows").select(F.col("id").alias("window_id"), screen(F.col("title")).alias("screen"))
+    rows = live(spark, sf_dir, "ts", "display_id", "app_id", "window_id").join(F.broadcast(windows), "window_id", "left")
+    order = Window.partitionBy("device_id", "display_id").orderBy("ts", "id")
+    again = (
+        F.col("app_id").eqNullSafe(F.lag("app_id").over(order))
+        & F.col("screen").eqNullSafe(F.lag("screen").over(order))
+        & (F.col("ts") - F.lag("ts").over(order) < GAP_MS)
+    )
+    rows = rows.withColumn("begins", F.when(again, 0).otherwise(1))
+    rows = rows.withColumn("run", F.sum("begins").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return (
+        rows.groupBy("device_id", "display_id", "run")
+        .agg(F.min_by("id", F.struct("ts", "id")).alias("first_id"), F.max_by("id", F.struct("ts", "id")).alias("last_id"), F.count("*").alias("n"))
+        .where("n >= 2")
+        .select("device_id", "first_id", "last_id")
+    )

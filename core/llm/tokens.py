@@ -1,0 +1,133 @@
+"""Token ids by byte_bpe_50k and containers filled with documents (TESTDATA.md, problems 7 and 8)."""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+from functools import cache
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from core.llm.store import table
+
+
+@cache
+def tokenizer():
+    import os
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    t.encode_special_tokens = True  # their strings in a text are ordinary text
+    return t
+
+
+def encode(texts: list[str | None]) -> Iterator[list[int]]:
+    t = tokenizer()
+    for text in texts:
+        yield t.encode(text, add_special_tokens=False).ids if text else []
+
+
+def ids_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        ids = pa.array(encode(b.column("text").to_pylist()), pa.list_(pa.int32()), size=b.num_rows)
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), ids], ["doc_id", "ids"])
+
+
+def tokens_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        counts = pa.array((len(ids) for ids in encode(b.column("text").to_pylist())), pa.int32(), size=b.num_rows)
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), counts], ["doc_id", "tokens"])
+
+
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(ids_of, "doc_id long, ids array<int>")
+
+
+def packing(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
+    """Best fit by falling size, over counts of sizes. Rows (size, from_rank, n, from_bin, per_bin): the items of a
+    size with ranks from_rank .. from_rank + n - 1 go to from_bin on, per_bin to each."""
+    free: dict[int, list[tuple[int, int]]] = {}  # room left -> runs of containers (first, number)
+    rooms: list[int] = []  # sorted
+    bins, rows = 0, []
+
+    def leave(room: int, run: tuple[int, int]) -> None:
+        if room and run[1]:
+            if room not in free:
+                free[room] = []
+                rooms.append(room)
+                rooms.sort()
+            free[room].append(run)
+
+    for size in sorted(counts, reverse=True):
+        left, rank = counts[size], 0
+        while left:
+            room = next((r for r in rooms if r >= size), None)
+            if room is None:
+                per = capacity // size
+                number = math.ceil(left / per)
+                first, room = bins, capacity
+                bins += number
+            else:
+                first, number = free[room].pop()
+                if not free[room]:
+                    del free[room]
+                    rooms.remove(room)
+                per = room // size
+            full = min(number, left // per)
+            if full:
+                rows.append((size, rank, full * per, first, per))
+                leave(room - per * size, (first, full))
+                rank, left, first, number = rank + full * per, left - full * per, first + full, number - full
+            if left and number:  # one more container takes the rest, less than per
+                rows.append((size, rank, left, first, left))
+                leave(room - left * size, (first, 1))
+                rank, left, first, number = rank + left, 0, first + 1, number - 1
+            leave(room, (first, number))
+    return rows
+
+
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document and limit, or for each part of a document that alone exceeds the capacity: tokens
+    from_token .. from_token + n_tokens - 1 of the document lie in container bin of the limit."""
+    sizes = table(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(tokens_of, "doc_id long, tokens int")
+    sizes = sizes.checkpoint() if spark.sparkContext.getCheckpointDir() else sizes.persist()
+    limits = table(spark, sf_dir, "size_limits").where("unit = 'tokens'").collect()
+    out = []
+    for limit in limits:
+        cap = limit["capacity"]
+        # whole containers are cut off the front of a document over the capacity; the rest is an item like the others
+        parts = sizes.withColumn("whole", F.floor(F.greatest(F.col("tokens") - 1, F.lit(0)) / cap).cast("long"))
+        parts = parts.select("doc_id", "tokens", F.explode(F.sequence(F.lit(0).cast("long"), "whole")).alias("part"))
+        parts = parts.select(
+            "doc_id",
+            "part",
+            (F.col("part") * cap).alias("from_token"),
+            F.least(F.col("tokens") - F.col("part") * cap, F.lit(cap)).cast("int").alias("n_tokens"),
+        )
+        counts = {r["n_tokens"]: r["n"] for r in parts.groupBy("n_tokens").agg(F.count("*").alias("n")).collect()}
+        empty = counts.pop(0, 0)
+        plan = packing(counts, cap)
+        bins = max([1, *(b + -(-n // per) for _, _, n, b, per in plan)])
+        if empty:  # nothing to hold: spread over all containers
+            per = -(-empty // bins)
+            plan.append((0, 0, empty, 0, per))
+        rows = spark.createDataFrame(plan or [(0, 0, 0, 0, 1)], "n_tokens int, from_rank long, n long, from_bin long, per_bin long")
+        rank = F.row_number().over(Window.partitionBy("n_tokens").orderBy("doc_id", "part")) - 1
+        ranked = parts.withColumn("rank", rank)
+        out.append(
+            ranked.join(F.broadcast(rows), "n_tokens")
+            .where("rank >= from_rank and rank < from_rank + n")
+            .select(
+                F.lit(limit["name"]).alias("container"),
+                F.expr("from_bin + (rank - from_rank) div per_bin").alias("bin"),
+                "doc_id",
+                F.col("part").cast("int").alias("part"),
+                F.col("from_token").cast("int").alias("from_token"),
+                "n_tokens",
+            )
+        )
+    return out[0].unionByName(out[1]) if len(out) == 2 else out[0]
