@@ -1,0 +1,125 @@
+"""Documents read in a wrong character encoding (TESTDATA.md, problem 9)."""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+from functools import cache
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+
+from core.llm.store import table
+
+SINGLE = ("cp1252", "cp1250", "cp1251", "mac_roman", "cp437", "cp850")
+#: Signs that stand beside Cyrillic letters, or next to each other in tables, in texts that are right.
+USUAL = {"cp1251": set("ё…»«“”’‘–—№„·§°\xa0"), "cp437": set("│┤╡╢╖╕╣║╗╝╜╛┐"), "cp850": set("│┤╣║╗╝┐")}
+
+
+@cache
+def tables() -> list[tuple[str, dict[str, int], re.Pattern]]:
+    out = []
+    for name in SINGLE:
+        to = {}
+        for b in range(0x80, 0x100):
+            try:
+                to[bytes([b]).decode(name)] = b
+            except UnicodeDecodeError:
+                pass
+        for b in range(0x80, 0xA0) if name in ("cp1252", "cp1250", "cp1251") else ():
+            to.setdefault(chr(b), b)  # bytes that the encoding leaves open stay as they are
+        of = lambda low, high: "[" + "".join(re.escape(c) for c, b in to.items() if low <= b <= high) + "]"  # noqa: B023, E731
+        rest = of(0x80, 0xBF)
+        out.append((name, to, re.compile(f"(?:{of(0xC2, 0xDF)}{rest}|{of(0xE0, 0xEF)}{rest}{{2}}|{of(0xF0, 0xF4)}{rest}{{3}})+")))
+    return out
+
+
+def plain(c: str) -> bool:
+    n = ord(c)
+    return 0xA0 <= n <= 0x17F or 0x2010 <= n <= 0x22FF or 0x2500 <= n <= 0x27BF or 0x3000 <= n <= 0x9FFF or 0xFE0F == n or 0xFF00 <= n <= 0xFFEF or n >= 0x1F000 or n in (0x200D, 0x20E3)
+
+
+def restored(name: str, to: dict[str, int], found: str) -> str | None:
+    """What a run of signs was, or None if it is right as it stands."""
+    try:
+        was = bytes(to[c] for c in found).decode("utf-8")
+    except UnicodeDecodeError:
+        return None
+    cyrillic = sum(0x400 <= ord(c) <= 0x4FF for c in was)
+    if not all(plain(c) or 0x400 <= ord(c) <= 0x4FF or 0x80 <= ord(c) < 0xA0 for c in was) or 0 < cyrillic < 3 and cyrillic == len(was):
+        return None
+    usual = USUAL.get(name, ())
+    if usual and all(c in usual for k, c in enumerate(found) if 0x80 <= to[c] <= 0xBF):
+        if name == "cp1251" or not set(found) & set("├┬"):
+            return None
+        if any(0x100 <= ord(c) for c in was) or "┬" in found:
+            return None
+    return was
+
+
+def hits(text: str) -> Iterator[tuple[int, int, str | None]]:
+    """Begin, end and original of every garbled run; None where it is lost."""
+    if text.isascii():
+        return
+    for m in re.finditer("�+|锟斤拷|â€|[\x80-\x9f]+|¡[¢£ª\xad®¯°±]", text):
+        yield m.start(), m.end(), None
+    for name, to, seek in tables():
+        for m in seek.finditer(text):
+            if (was := restored(name, to, m.group())) is not None:
+                yield m.start(), m.end(), was
+    for m in re.finditer("[　-鿿가-퟿-‐-◿€\xa0-\xffͰ-ӿ]{2,}", text):
+        run = m.group()
+        if re.search("[一-鿿]", run):
+            try:
+                run.encode("gb2312")
+                continue
+            except UnicodeEncodeError:
+                pass
+        else:
+            continue
+        try:
+            raw = run.encode("gb18030")
+            was = raw.decode("utf-8", "strict") if len(raw) % 3 == 0 else raw[: len(raw) // 3 * 3].decode("utf-8")
+        except UnicodeError:
+            continue
+        if was and all(plain(c) for c in was):
+            yield m.start(), m.end(), was
+    for m in re.finditer("(?=[\xa1-\xbf]*[\xc0-\xff][\xa1-\xbf]*[\xc0-\xff])[\xa1-\xff]{4,}", text):
+        for name in ("cp1251", "gb18030"):  # bytes of these shown one by one
+            try:
+                yield m.start(), m.end(), m.group().encode("latin-1").decode(name)
+                break
+            except UnicodeError:
+                pass
+
+
+def quoted(text: str, begin: int, end: int, was: str | None) -> bool:
+    """Whether the run is shown as an example: its line has the right spelling of the same word beside it."""
+    low, high = text.rfind("\n", 0, begin) + 1, text.find("\n", end)
+    line = text[low:] if high < 0 else text[low:high]
+    if was is None:
+        return False
+    a, b = begin, end
+    while a > low and text[a - 1].isalpha() and text[a - 1].isascii():
+        a -= 1
+    while b < low + len(line) and text[b].isalpha() and text[b].isascii():
+        b += 1
+    right = text[a:begin] + was + text[end:b]
+    rest = text[low:a] + "\n" + text[b : low + len(line)]
+    return re.search(rf"(?<!\w){re.escape(right)}(?!\w)", rest) is not None
+
+
+def garbled(text: str | None) -> bool:
+    found = list(hits(text)) if text else []
+    known = [(a, b) for a, b, was in found if was is not None]
+    return any(not quoted(text, a, b, was) for a, b, was in found if was is not None or not any(x <= a and b <= y for x, y in known))
+
+
+def garbled_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        ids = [i for i, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()) if garbled(text)]
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64())], ["doc_id"])
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(garbled_of, "doc_id long")

@@ -1,0 +1,118 @@
+"""What scanned page texts carry besides their paragraphs (TESTDATA.md, problem 3)."""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from core.llm.store import table
+
+BREAK = re.compile(r"(?<=[^\W_])[-‐¬\xad][ \t]*\r?\n[ \t]*(?=[^\W_])(?!(?:und|oder)\b)")
+ROMAN = r"(?=[ivxlc])(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})"
+NUMBER = rf"(?:(?=[\dlo]*\d)[\dlo]{{1,4}}|{ROMAN})"
+PAGE = re.compile(
+    rf"[-–—\[(]?\s*(?:(?:page|pg?\.?|p[áa]gina|p[áa]g\.?|seite|s\.|стр\.?|第)\s*)?{NUMBER}(?:\s*(?:of|von|de|sur|из|/)\s*\d+)?\s*页?\s*[-–—\])]?",
+    re.IGNORECASE,
+)
+BESIDE = re.compile(rf"^{PAGE.pattern}\s{{2,}}|\s{{2,}}{PAGE.pattern}$", re.IGNORECASE)
+HEADING = re.compile(r"\d+(?:\.\d+)+\.?\s")
+WORD = re.compile(r"[^\W_]+(?:[@$][^\W_]+)*[@$]?|[@$][^\W_]+")
+SIGNS = {"0": "o", "1": "li", "3": "e", "4": "a", "5": "s", "6": "bg", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s"}
+PAIRS = [("rn", "m"), ("ri", "n"), ("cl", "d"), ("vv", "w"), ("ii", "u"), ("c", "e"), ("l", "i"), ("i", "l"), ("f", "t"), ("f", "e"), ("b", "h"), ("m", "rn"), ("n", "ri"), ("d", "cl")]
+
+
+def skeleton(line: str) -> str:
+    """A line without page number, case and signs that are taken for each other."""
+    s = BESIDE.sub("", line.strip()).lower()
+    s = re.sub(r"\W+", " ", "".join(SIGNS.get(c, c)[0] for c in s)).strip()
+    return s.replace("l", "i").replace("ri", "n").replace("rn", "m").replace("ci", "d").replace("vv", "w").replace("c", "e").replace("f", "e").replace("t", "e").replace("h", "b")
+
+
+def misread(word: str, known: dict[str, int]) -> bool:
+    """Whether a word is another, well-known one with signs taken for others."""
+    word = word.lower()
+    if "ﬁ" in word or "ﬂ" in word:
+        return True
+    odd = any(c in SIGNS for c in word)
+    if odd and not any(c.isalpha() for c in word):
+        return False
+    least = 2 if odd else max(5, 8 * known.get(word, 1))
+    tried = {""}
+    for c in word:
+        tried = {t + x for t in tried for x in SIGNS.get(c, c)}
+        if len(tried) > 64:
+            return False
+    if odd and any(known.get(t, 0) >= least for t in tried):
+        return len(word) > 2
+    for _ in range(2):
+        tried = {
+            t[:m.start()] + b + t[m.end():] for t in tried for a, b in PAIRS for m in re.finditer(a, t)
+        }
+        if any(known.get(t, 0) >= (max(5, least)) for t in tried):
+            return len(word) > 1
+        if len(tried) > 400 or len(word) < 5:
+            return False
+    return False
+
+
+def kinds(text: str, known: dict[str, int], cache: dict[str, bool]) -> tuple[list[str], list[str]]:
+    """Kinds that the page shows by itself, and the lines that are headers if they come again."""
+    found, tops = [], []
+    if BREAK.search(text):
+        found.append("hyphen")
+    lines = [s for s in (x.strip() for x in re.split(r"\r?\n|\f", text)) if s]
+    if not lines:
+        return found, tops
+    first = [s for s in lines[:2] if not PAGE.fullmatch(s)][:1]
+    if first and (first[0] == lines[0] or PAGE.fullmatch(lines[0])) and not HEADING.match(first[0]):
+        tops = [s for s in first if len(s) <= 100 and skeleton(s)]
+    ends = [lines[0], lines[-1]] + [s for s in lines[1:2] if BESIDE.sub("", lines[0]) == lines[0] and len(lines[0]) < 60 and lines[0][-1] not in ".,;"]
+    if any(PAGE.fullmatch(s) for s in ends) or any(BESIDE.search(s) and len(s) < 100 for s in (lines[0], lines[-1])):
+        found.append("page_number")
+    for w in set(WORD.findall(BREAK.sub("", text))):
+        if w not in cache:
+            cache[w] = not w.isdigit() and misread(w, known)
+        if cache[w]:
+            found.append("glyph")
+            break
+    return found, tops
+
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vrow, file_id and text of every page; a page seen many times comes once."""
+    files = table(spark, sf_dir, "files").where(r"lower(path) rlike '\\.(pdf|tiff?)$'").select(F.col("id").alias("file_id"))
+    seen = table(spark, sf_dir, "observations").where("capture_method in ('ocr', 'mixed') and file_id is not null")
+    seen = seen.select("device_id", F.col("id").alias("observation_id"), "file_id").join(F.broadcast(files), "file_id")
+    shown = table(spark, sf_dir, "occurrences").select("device_id", "observation_id", F.col("text_version_id").alias("id"))
+    shown = shown.join(seen, ["device_id", "observation_id"]).select("device_id", "id", "file_id").distinct()
+    return table(spark, sf_dir, "text_versions").select("device_id", "id", "vrow", "text").join(shown, ["device_id", "id"]).select("vrow", "file_id", "text")
+
+
+def words(spark: SparkSession, sf_dir: str) -> dict[str, int]:
+    """Number of texts of the store that have a word; words of one or two texts are none."""
+    text = F.lower(F.regexp_replace("text", r"[-‐¬\x{AD}][ \t]*\r?\n[ \t]*", ""))
+    each = table(spark, sf_dir, "text_versions").select(F.explode(F.array_distinct(F.split(text, r"[^\p{L}\p{N}@$]+"))).alias("word"))
+    rows = each.where(r"word rlike '^\\p{L}{1,30}$'").groupBy("word").count().where("count >= 3")
+    return {r["word"]: r["count"] for r in rows.orderBy(F.desc("count")).limit(300_000).collect()}
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = spark.sparkContext.broadcast(words(spark, sf_dir))
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache: dict[str, bool] = {}
+        for b in batches:
+            out = []
+            for vrow, file, text in zip(*(b.column(c).to_pylist() for c in ("vrow", "file_id", "text"))):
+                found, tops = kinds(text or "", known.value, cache)
+                out += [(vrow, file, k, None) for k in found] + [(vrow, file, "header", skeleton(s)) for s in tops]
+            cols = list(zip(*out)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.string()))], ["vrow", "file_id", "kind", "line"])
+
+    rows = pages(spark, sf_dir).mapInArrow(of, "vrow long, file_id long, kind string, line string")
+    rows = rows.groupBy("file_id", "kind", "line").agg(F.collect_set("vrow").alias("vrows"))
+    rows = rows.where("kind <> 'header' or size(vrows) >= 2")
+    return rows.select(F.explode("vrows").alias("vrow"), "kind").distinct()

@@ -14,21 +14,20 @@ from core.llm.store import table
 
 @cache
 def tokenizer():
-    import os
+    import base64
 
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     import public_tokenizers
-    from tokenizers import Tokenizer
+    import tiktoken
 
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True  # their strings in a text are ordinary text
-    return t
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def encode(texts: list[str | None]) -> Iterator[list[int]]:
     t = tokenizer()
     for text in texts:
-        yield t.encode(text, add_special_tokens=False).ids if text else []
+        yield t.encode_ordinary(text) if text else []
 
 
 def ids_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
