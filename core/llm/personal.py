@@ -1,0 +1,112 @@
+"""Personal items in texts, window titles and captured URLs (TESTDATA.md, problem 1)."""
+
+from __future__ import annotations
+
+import re
+import unicodedata
+from collections.abc import Iterator
+from urllib.parse import unquote
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from core.llm.store import table
+
+GIVEN = """adam amara bianca bruno carlos clara daniel doris elena emil fatima felix gloria greta helen henrik hugo ines ingrid
+irene ivan jonas julia jurgen juergen katja kofi laura leon lucja lukas marta mateo miriam nadia nils nora olga oscar pablo
+paula peter rafael rene rosa simon sofia soren sven tara teresa tomas viktor wanda yusuf zoe"""
+FAMILY = """abendrotlys belcastrofinn brastow brzozanek corvanis delmarque dunnhaber eskarion fenwarden ferrowick galtimore
+grisholt halvarez hesselroth istvanek jarnvall ketteringvoss kostrava lomaszek meverholt mirandel norquisthale nunarez
+odarragh ohrlander oehrlander ollenby ostrello pellacourt quillander rendivaar sablinsky stromvik stroemvik tarrisk thorvenne
+ulmquist vandrell varnaveda wexholm yarrowby zelnikar"""
+AT, DOT = r"(?:\s?@\s?|\s?[\[({]\s?at\s?[\])}]\s?|\sat\s(?=\S+(?:\sdot\s|\s?[\[({]dot)))", r"(?:\.|\s?[\[({]\s?dot\s?[\])}]\s?|\sdot\s)"
+EMAIL = re.compile(rf"[\w.+%-]*[^\W_][\w.+-]*?{AT}(?:[a-z0-9-]+{DOT})+(?!(?:png|jpe?g|gif|svg|webp|pdf|md)\b)[a-z]{{2,}}(?![a-z0-9])", re.IGNORECASE)
+CALL = r"(?:tel(?:[eé]fono|efon|ephone)?|t[eé]l|phone|mobile|fax|call(?: from)?|dial-in|number is|voicemail from|ll[aá]mame al|joignable au|unter|电话|请打|тел)"
+PHONE = re.compile(
+    r"(?<![\w+])\+\d{1,3}[ .\-/(]*\d(?:[ .\-/()]{0,3}\d){6,12}(?!\d)"
+    r"|(?<![\w.\-])(?:1[ .-])?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\d-])"
+    r"|(?<![\w.\-])0\d(?:[ .-]\d\d){4}(?![\d-])"
+    r"|(?<![\w.\-])(?:0|0?\(0\))7\d{3}[ -]?\d{3}[ -]?\d{3}(?!\d)"
+    r"|(?<![\w.\-])\(?0\d{2,4}\)?(?: ?/ ?|[ -])\d{4,6}[ -]?\d{1,4}(?!\d)"
+    r"|(?<![\w.\-])00\d{2}[ .-]\d(?:[ .\-/()]{0,3}\d){6,12}(?!\d)"
+    r"|(?<![\w.\-])1[3-9]\d[ -]\d{4}[ -]\d{4}(?![\d-])"
+    rf"|{CALL}[^\w\n]{{0,3}}\+?\d(?:[ .\-/()]{{0,3}}\d){{8,13}}(?!\d)",
+    re.IGNORECASE,
+)
+ID = re.compile(
+    r"(?<![A-Za-z0-9])QQ[ -]?\d\d[ -]?\d\d[ -]?\d\d[ -]?[A-D](?![A-Za-z0-9])"
+    r"|(?<![\w-])\d{3}[- ]\d\d[- ]\d{4}(?![\w-])"
+    r"|(?<![A-Za-z0-9.,])\d\d \d{3} \d{3} \d{3}(?![A-Za-z0-9])"
+    r"|(?<![A-Za-z0-9])\d{8}[- ]?[A-Z](?![A-Za-z0-9])"
+    r"|(?<![A-Za-z0-9])\d{6}(?:19|20)\d\d(?:0\d|1[0-2])[0-3]\d{4}[\dXx](?![A-Za-z0-9])"
+    r"|(?<![A-Za-z0-9])XZ ?\d{7}(?![A-Za-z0-9])"
+    r"|(?i:ssn|national id|身份证号?|证件号码|dni/nie|steuernummer|tax file|passport(?: or id)?(?: no\.?)?|identity check|applicant)[^\w\n]{1,3}(?:[A-Z]{1,2}[ -]?)?\d(?:[ .-]?\d){6,17}[ -]?[A-Z]?(?![A-Za-z0-9])"
+)
+WAY = r"(?:Street|St|Avenue|Ave|Lane|Ln|Road|Rd|Drive|Boulevard|Blvd|Court|Square|Terrace)"
+UP = r"[^\W\d_a-zß-öø-ÿ][\w’'-]*"
+ADDRESS = re.compile(
+    rf"(?<![\w.])\d{{1,5}}[A-Za-z]?,?[ \xa0](?:(?:N|S|E|W|North|South|East|West)\.? )?(?!The\b){UP} (?:{UP} )?{WAY}\b"
+    r"|(?:(?<=[^\W\d_])(?:weg|stra(?:ß|ss)e|str\.|gasse|allee)|(?<!\w)(?:Stra(?:ß|ss)e|Str\.|Gasse|Allee|Weg))\s?\d{1,4}"
+    r"|(?<![\w.])\d{1,5}(?:\s?(?:bis|ter))?,?\s(?:rue|avenue|av\.|boulevard|bd|place|chemin|quai|impasse|allée)\s[^\W\d_]"
+    r"|(?<!\w)(?:Calle|C/|C\.|Avda\.?|Avenida|Av\.|Plaza|Pza\.|Paseo|Camino|Rua|R\.)\s?(?:[^\W\d_][\w’'.-]*\s?){1,5},?\s?(?:n[.º°]+\s?|núm\.?\s)?\d{1,4}"
+    r"|(?:ул\.|улица|проспект|пр\.|переулок)\s?[^\d\n]{2,30}\d"
+    r"|[一-鿿](?:路|街|大道|巷|弄)\s?\d+\s?(?:号|弄)"
+)
+GIVEN_SET = set(GIVEN.split())
+FAMILY_SET = {w for w in FAMILY.split() if w.isalpha()}
+PARTED = re.compile(r"(?<![a-z0-9_])(?:abendrot[- ]lys|belcastro[- ]finn|kettering[- ]voss|norquist[- ]hale|o['’ ]darragh|de[- ]?la[- ]?morena[- ]?vix|van[- ]?der[- ]?quast|vanderquast)(?![a-z0-9_])", re.IGNORECASE)
+LATIN = re.compile(r"[A-Za-z0-9_]+")
+MAIL_SIGN = re.compile(r"@|[\[({]\s?at\s?[\])}]|\sdot\s", re.IGNORECASE)
+HAN = re.compile(r"(?:联系人|收件人|经办人|姓名|签名)[::]\s?[一-鿿]{2,3}|@[一-鿿]{2,4}(?= |$)|[程贺周顾叶郑孙苏吴林沈陆][若桐知舒澄向予清晚川景以禾安遥望宁]{1,2}(?![若桐知舒澄向予清晚川景以禾安遥望宁])")
+BARE = str.maketrans("øØłŁđĐßæÆœŒ", "oOlLdDsaAoO")
+
+
+def fold(text: str) -> str:
+    return text if text.isascii() else re.sub("[\u0300-\u036f]", "", unicodedata.normalize("NFD", text.translate(BARE)))
+
+
+def named(text: str, any_case: bool) -> bool:
+    words = set(LATIN.findall(text))
+    if any(w.lower() in FAMILY_SET or w.lower() in GIVEN_SET and (any_case or w[0].isupper()) for w in words):
+        return True
+    return PARTED.search(text) is not None
+
+
+def items(field: str, text: str) -> list[str]:
+    """Kinds of personal items that a text, title or URL holds."""
+    if field == "url":
+        text = unquote(unquote(text))
+    text = re.sub(r"[​-‍⁠﻿]", "", unicodedata.normalize("NFKC", text))
+    text = re.sub(r"[‐-‒−]", "-", text)
+    out = []
+    if MAIL_SIGN.search(text) and EMAIL.search(text):
+        out.append("email")
+        text = EMAIL.sub(" ; ", text)
+    if field == "url":
+        host = re.match(r"\w+://[^/?#]*", text)
+        text = re.sub(r"(?<=[^=/])\+|\+(?=\D)", " ", text[host.end() :] if host else text)
+    if PHONE.search(text):
+        out.append("phone")
+    if ID.search(text):
+        out.append("id_number")
+    if ADDRESS.search(text):
+        out.append("address")
+    if named(fold(text), field == "url") or HAN.search(text):
+        out.append("name")
+    return out
+
+
+def items_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        rows = [(f, i, k) for f, i, t in zip(*(b.column(c).to_pylist() for c in ("field", "record_id", "text"))) if t for k in items(f, t)]
+        cols = list(zip(*rows)) or [()] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.string()))], ["field", "record_id", "kind"])
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sources = [("text", "text_versions", "vrow", "text"), ("title", "windows", "id", "title"), ("url", "urls", "id", "raw_locator")]
+    rows = None
+    for field, name, key, column in sources:
+        part = table(spark, sf_dir, name).select(F.lit(field).alias("field"), F.col(key).alias("record_id"), F.col(column).alias("text"))
+        rows = part if rows is None else rows.unionByName(part)
+    return rows.mapInArrow(items_of, "field string, record_id long, kind string")

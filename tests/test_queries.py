@@ -1,0 +1,43 @@
+"""Small cases of the nine queries; each failed while queries() was empty."""
+
+import __spark_entry__ as e
+from core.llm import garbled, personal, scans, tokens
+
+
+def test_all_nine_are_registered():
+    assert {n.split("_")[0] for n in e.queries()} == {f"p{n}" for n in range(1, 10)}
+
+
+def test_personal_items():
+    of = lambda text, field="text": set(personal.items(field, text))
+    assert of("Hi Olga, write to van.x [at] post [dot] test") == {"name", "email"}
+    assert of("Tel: (415) 555-0151") == {"phone"}
+    assert of("SSN / national ID: QQ 51 35 99 A") == {"id_number"}
+    assert of("Ship to 99 North Heron Avenue") == {"address"}
+    assert of("https://a.test/login#user=jonas%40example.net&k=1", "url") == {"email"}
+    for text in ("The Kiln Lane sprint ends on Friday.", "Ticket 3906-2199-24 is closed.", "Pinned leftgrid@2.4.6", "✗ 1\nThe Saddler Lane sprint"):
+        assert not of(text), text
+
+
+def test_page_kinds():
+    known = {w: 50 for w in "the training module was approved and load".split()}
+    found, tops = scans.kinds("QUARTZ MANUAL\nthe trai-\nning m0dule was approved\n[12]", known, {})
+    assert set(found) == {"hyphen", "glyph", "page_number"} and scans.skeleton(tops[0]) == scans.skeleton("QUARTZ MANUA1   7")
+    assert not scans.kinds("the training module\nwas approved.", known, {})[0]
+
+
+def test_token_ids_and_containers():
+    assert list(tokens.encode(["", None, "a <|endoftext|>"]))[:2] == [[], []] and 50256 not in list(tokens.encode(["<|endoftext|>"]))[0]
+    rows = tokens.packing({5: 3, 3: 3, 2: 4}, 8)
+    load = {}
+    for size, _, n, first, per in rows:
+        for k in range(n):
+            load[first + k // per] = load.get(first + k // per, 0) + size
+    assert sum(load.values()) == 32 and max(load.values()) <= 8 and len(load) == 4
+
+
+def test_garbled():
+    for text in ("naÃ¯ve cafÃ© test", "it‚Äôs", "40 鈧�.", "it�s", "See § 3 \x93berblick\x94", "See В§ 3 вЂњГњberblickвЂќ."):
+        assert garbled.garbled(text), text
+    for text in ("naïve café", "The export shows “Ã©” where “é” is expected.", "├──────┼────┤", "ещё… «да»", "请先看一下搜索索引", None, ""):
+        assert not garbled.garbled(text), text
