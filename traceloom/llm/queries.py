@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from traceloom.llm import packing, runs, splitting, tokens
+from traceloom.llm import mojibake, packing, runs, splitting, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": runs.p2_found,
@@ -17,6 +17,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_decoded": tokens.p7_decoded,
     "p8_containers": packing.p8_containers,
     "p8_fill": packing.p8_fill,
+    "p9_found": mojibake.p9_found,
+    "p9_repaired": mojibake.p9_repaired,
 }
 
 SQL: dict[str, str] = {
