@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from traceloom.llm import mojibake, packing, runs, splitting, tokens
+from traceloom.llm import mojibake, packing, runs, scans, splitting, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": runs.p2_found,
     "p2_runs": runs.p2_runs,
+    "p3_found": scans.p3_found,
+    "p3_paragraphs": scans.p3_paragraphs,
     "p4_found": splitting.p4_found,
     "p4_pieces": splitting.p4_pieces,
     "p7_ids": tokens.p7_ids,
