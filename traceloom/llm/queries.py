@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from traceloom.llm import mojibake, packing, runs, scans, splitting, tokens
+from traceloom.llm import mojibake, packing, personal, runs, scans, splitting, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": personal.p1_found,
+    "p1_redacted": personal.p1_redacted,
     "p2_found": runs.p2_found,
     "p2_runs": runs.p2_runs,
     "p3_found": scans.p3_found,
