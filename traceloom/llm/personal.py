@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
@@ -30,8 +29,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from traceloom.llm.words import encoded, resolved
-from traceloom.store import table, written
+from traceloom.llm.words import dictionary, encoded, noted, resolved
+from traceloom.store import table
 
 FIELDS = (("text", "text_versions", "vrow", "text"), ("title", "windows", "id", "title"), ("url", "urls", "id", "raw_locator"))
 KINDS = ("email", "phone", "id_number", "address", "name")
@@ -87,16 +86,22 @@ PARSERS = {"email": EMAIL, "phone": PHONE, "id_number": ID, "address": ADDRESS}
 DIGITS = re.compile(r"[(+]?\d[\d .\-/()]{5,}[\dA-Za-z]")  # a run that a number without cue must hold
 
 NAME = rf"(?:[^\W\d_a-zß-öø-ÿ](?:\.|[\w’'-]+)(?:,? (?:(?:de la|de|van der|van|von|da|dos) )?[^\W\d_a-zß-öø-ÿ](?:\.|[\w’'-]+)){{0,4}}|(?:de la|van der) {UP}(?: {UP})?)"
-CUES = re.compile(
-    rf"(?:(?:Dr|Mr|Mrs|Ms|Prof|Sr|Sra)\.? |Mme |M\. |Herr |Frau |Don |Doña )(?P<a>{NAME})"
-    rf"|(?:(?:From|To|Cc|Owner|Assignee|Contact|Bearbeiter(?:in)?|Responsable|Author|Name): |[Aa]ssigned to |[Cc]hat with |(?:Hi|Hello|Hola|Bonjour|Hallo|Olá|Dear|Ciao|[Tt]hanks) )(?P<b>{NAME})"
-    rf"|(?:regards|Grüße|Grüssen|Saludos|[Cc]ordialement|Atentamente|Sincerely|Cheers),?\s*\n\s*(?P<c>{NAME})"
-    rf"|(?P<d>{NAME}) (?:joined the call|signed|hat zugestimmt|est d[’']accord)"
-)
+#: What stands before and behind a person's name, in lower case.
+BEFORE = (
+    "dr", "mr", "mrs", "ms", "prof", "sr", "sra", "mme ", "m. ", "herr ", "frau ", "don ", "doña ", "from: ", "to: ", "cc: ", "owner: ", "assignee: ",
+    "contact: ", "bearbeiter: ", "bearbeiterin: ", "responsable: ", "author: ", "name: ", "assigned to ", "chat with ", "hi ", "hello ", "hola ",
+    "bonjour ", "hallo ", "olá ", "dear ", "ciao ", "thanks ", "regards", "grüße", "grüssen", "saludos", "cordialement", "atentamente", "sincerely", "cheers",
+)
+BEHIND = (" joined the call", " signed", " hat zugestimmt", " est d’accord", " est d'accord")
+AFTER_CUE = re.compile(rf"(?:\.? ?|,?\s*\n\s*)({NAME})")
+UNTIL_CUE = re.compile(rf"({NAME})$")
 HAN_CUE = re.compile(r"(?:联系人|收件人|经办人|姓名|签名)[::]\s?([一-鿿]{2,3})(?![一-鿿])|@([一-鿿]{2,3})(?= )|(?<![一-鿿])([一-鿿]{2,3})(?=已经确认)|与([一-鿿]{2,3})(?=的聊天)")
+HAN = re.compile("[一-鿿]{2,}")
 LETTERS = re.compile(r"[^\W\d_]+")
 CHAIN = re.compile(r"[^\W\d_]+(?:(?:[-’'. ]|’ )[^\W\d_]+)*")
 ONE_TO_ONE = {0x3000: " ", 0xA0: " ", 0x202F: " ", 0x2212: "-", 0xFF5E: "~"} | {c: "-" for c in range(0x2010, 0x2013)} | {c: chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5E)}
+WIDE = re.compile(f"[{''.join(map(re.escape, map(chr, ONE_TO_ONE)))}]")
+MARKS = re.compile("[\xad​-‍⁠﻿̀-ͯ]")
 GONE = re.compile("[​-‍⁠﻿\xad]")
 HEX = re.compile("(?:%[0-9A-Fa-f]{2})+")
 BARE = str.maketrans("øØłŁđĐßæÆœŒ", "oOlLdDsaAoO")
@@ -125,8 +130,9 @@ def folded(text: str, url: bool) -> tuple[str, np.ndarray | None]:
             at = np.concatenate([*places, base[last:]])
             text = "".join([*parts, text[last:]])
     if not text.isascii():
-        text = text.translate(ONE_TO_ONE)
-        if GONE.search(text) or not unicodedata.is_normalized("NFC", text):
+        if WIDE.search(text):
+            text = text.translate(ONE_TO_ONE)
+        if MARKS.search(text):
             # letters are put together with their marks; signs without width are left out
             out, places = [], []
             base = at if at is not None else np.arange(len(text) + 1)
@@ -149,7 +155,7 @@ def folded(text: str, url: bool) -> tuple[str, np.ndarray | None]:
 def automaton():
     a = ahocorasick.Automaton()
     kinds: dict[str, list[str]] = {}
-    for kind, words in ANCHORS.items():
+    for kind, words in (*ANCHORS.items(), ("before", BEFORE), ("behind", BEHIND)):
         for w in words:
             kinds.setdefault(w, []).append(kind)
     for w, k in kinds.items():
@@ -163,8 +169,26 @@ def lowered(text: str) -> str:
     return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
 
 
-def items(text: str) -> list[tuple[int, int, str]]:
-    """(begin, end, kind) of emails, numbers and addresses of a folded text."""
+DIGIT = re.compile(r"\d")
+
+
+def stands(low: str, kind: str, begin: int, end: int) -> bool:
+    """Whether an anchor at begin .. end stands where its parser can read an item: cheap tests of its neighbours."""
+    before, behind = low[begin - 1 : begin], low[end : end + 1]
+    if kind == "phone":
+        return behind.isdigit() if low[begin] == "+" else not (behind.isalpha() and low[begin].isascii() and behind.isascii())
+    if kind == "address":
+        if low[begin] == " ":
+            return not behind.isalnum()
+        return low[end - 1] not in "./" or not before.isalnum() or low[begin:end] == "str."
+    if kind == "email":
+        return low[begin:end] != " at " or "dot" in low[end : end + 40]
+    return kind == "behind" or not before.isalnum() or not before.isascii()
+
+
+def items(text: str, names: list[str] | None = None) -> list[tuple[int, int, str]]:
+    """(begin, end, kind) of emails, numbers and addresses of a folded text. `names` gets what is written where a
+    person is named."""
     windows: dict[str, list[list[int]]] = {k: [] for k in PARSERS}
 
     def look(kind: str, lo: int, hi: int) -> None:
@@ -174,10 +198,17 @@ def items(text: str) -> list[tuple[int, int, str]]:
         else:
             w.append([lo, hi])
 
-    for end, (n, kinds) in automaton().iter(lowered(text)):
+    low, size = lowered(text), len(text)
+    for last, (n, kinds) in automaton().iter(low):
+        end = last + 1
         for k in kinds:
-            look(k, max(0, end + 1 - n - AROUND), min(len(text), end + 1 + AROUND))
-    numbers = [(max(0, m.start() - 30), min(len(text), m.end() + 12)) for m in DIGITS.finditer(text)]
+            if not stands(low, k, end - n, end):
+                continue
+            if k in PARSERS:
+                look(k, max(0, end - n - AROUND), min(size, end + AROUND))
+            elif names is not None and (m := AFTER_CUE.match(text, end, end + AROUND) if k == "before" else UNTIL_CUE.search(text, max(0, end - n - AROUND), end - n)):
+                names.append(m[1])
+    numbers = [(max(0, m.start() - 30), min(size, m.end() + 12)) for m in DIGITS.finditer(text) if sum(map(str.isdigit, m[0])) >= 7]
     out: list[tuple[int, int, str]] = []
     free = lambda a, b: all(b <= x or y <= a for x, y, _ in out)
     for kind in PARSERS:
@@ -185,9 +216,11 @@ def items(text: str) -> list[tuple[int, int, str]]:
         if kind in ("phone", "id_number"):
             spans = sorted([tuple(s) for s in spans] + numbers)
         for lo, hi in spans:
+            if kind != "email" and not DIGIT.search(text, lo, hi):
+                continue
             for m in PARSERS[kind].finditer(text, lo, hi):
                 a, b = (m.span("n") if "n" in m.re.groupindex and m["n"] else m.span())
-                if m.end() == hi < len(text) and text[hi].isalnum():
+                if m.end() == hi < size and text[hi].isalnum():
                     continue  # cut by the window: a later one holds it whole
                 if kind == "id_number" or free(a, b):
                     if not any(x == a and y == b and k == kind for x, y, k in out):
@@ -218,37 +251,27 @@ def blanked(text: str, spans: list[tuple[int, int, str]]) -> str:
     return text
 
 
-def learnt_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of what is learnt about names: (word, role); roles: mail, first, last, begin, inside."""
-    seen: Counter = Counter()
-    for b in batches:
-        for field, text in zip(b.column("field").to_pylist(), b.column("text").to_pylist()):
-            if not text:
-                continue
-            text, _ = folded(text, field == "url")
-            if "@" in text or "at" in text:
-                for m in EMAIL.finditer(text) if "@" in text or re.search(r"[\[({]\s?at|\sat\s", text) else ():
-                    parts = [w for w in re.split(r"[^a-z]+", m["local"].lower()) if len(w) >= 3]
-                    if len(parts) >= 1:
-                        seen.update((w, "mail") for w in parts)
-            for m in CUES.finditer(text):
-                words = LETTERS.findall(m["a"] or m["b"] or m["c"] or m["d"])
-                for i, j, w in chains(words):
-                    if len(w) >= 3:
-                        seen[w, "first" if i == 0 and len(words) > j else "last"] += 1
-            for m in HAN_CUE.finditer(text):
-                name = m[m.lastindex]
-                seen[name[0], "begin"] += 1
-                seen.update((c, "inside") for c in name[1:])
-    rows = [(w, role, n) for (w, role), n in seen.items()] or []
-    cols = list(zip(*rows)) or [(), (), ()]
-    yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64())], ["word", "role", "n"])
-
-
-def learnt(records: DataFrame) -> tuple[DataFrame, str, str]:
+def noted_of(text: str, spans: list[tuple[int, int, str]], named: list[str]) -> list[str]:
+    """What a record teaches about names: role and word; roles: mail, first, last, begin, inside."""
+    out = []
+    for a, b, kind in spans:
+        if kind == "email":
+            local = EMAIL.fullmatch(text, a, b)
+            out += [f"mail {w}" for w in re.split(r"[^a-z]+", local["local"].lower()) if len(w) >= 3] if local else []
+    for name in named:
+        words = LETTERS.findall(name)
+        out += [f"{'first' if i == 0 and len(words) > j else 'last'} {w}" for i, j, w in chains(words) if len(w) >= 3]
+    if not text.isascii():
+        for m in HAN_CUE.finditer(text):
+            name = m[m.lastindex]
+            out += [f"begin {name[0]}", *(f"inside {c}" for c in name[1:])]
+    return out
+
+
+def learnt(batches: DataFrame) -> tuple[DataFrame, str, str]:
     """Names of the corpus as rows (word, last: whether it is mostly a last name), and the characters that begin and
     continue Chinese names, at most as many as the character set has."""
-    seen = written(records.mapInArrow(learnt_of, "word string, role string, n long").groupBy("word", "role").agg(F.sum("n").alias("n")), "names")
+    seen = noted(batches).select(F.substring_index("word", " ", 1).alias("role"), F.substring_index("word", " ", -1).alias("word"), "n")
     of = lambda *roles: F.sum(F.when(F.col("role").isin(*roles), F.col("n")).otherwise(0))
     latin = seen.where("role in ('mail', 'first', 'last')").groupBy("word").agg(of("mail").alias("mail"), of("first").alias("first"), of("last").alias("last"))
     latin = latin.where("mail > 0 and first + last > 0").select("word", (F.col("last") > F.col("first")).alias("last"))
@@ -267,45 +290,51 @@ def han_names(text: str, pattern: re.Pattern) -> list[tuple[int, int]]:
     return [m.span(m.lastindex) for m in pattern.finditer(text)]
 
 
-def words_of(begin: str, inside: str):
-    """Words of a record that may be names, and marks of the kinds found by the parsers. A record's first character
-    tells its field."""
-    pattern = han_pattern(begin, inside)
-
-    def of(record: str) -> list[str]:
-        url = record[0] == "2"
-        text, _ = folded(record[1:], url)
-        spans = items(text)
-        out = {f"\1{kind}" for _, _, kind in spans}
-        rest = blanked(text, spans)
-        if url and (host := re.match(r"\w+://[^/?#]*", rest)):
-            rest = rest[host.end() :]
-        if not rest.isascii() and han_names(rest, pattern):
+def words_of(record: str) -> tuple[list[str], list[str]]:
+    """Words of a record that may be names, and marks of the kinds found by the parsers; then what it teaches about
+    names. A record's first character tells its field."""
+    url = record[0] == "2"
+    text, _ = folded(record[1:], url)
+    named: list[str] = []
+    spans = items(text, named)
+    out = {f"\1{kind}" for _, _, kind in spans}
+    rest = blanked(text, spans)
+    if url and (host := re.match(r"\w+://[^/?#]*", rest)):
+        rest = rest[host.end() :]
+    if not rest.isascii():
+        if HAN_CUE.search(rest):
             out.add("\1name")
-        out.update(candidates(rest, url))
-        return list(out)
+        for m in HAN.finditer(rest):  # each place where a Chinese name may begin, with the sign behind it
+            out.update(f"\3{m[0][i : i + 4]}" for i in range(len(m[0]) - 1))
+    out.update(candidates(rest, url))
+    return list(out), noted_of(text, spans, named)
+
 
-    return of
+class Forms(dict):
+    """Bare form of a word of a text; a word in lower case is marked."""
+
+    def __missing__(self, word: str) -> str:
+        if len(self) > 300_000:
+            self.clear()
+        self[word] = out = ("" if word[0].isupper() else "\2") + bare(word)
+        return out
+
+
+FORMS = Forms()
+U = "[^\\W\\d_a-zß-öø-ÿ][^\\W\\d_]*"
+CAPITALS = re.compile(rf"(?:\b(?:de|van|von) (?:la |der )?)?{U}(?:(?:[-’' ]|\. )(?:(?:de|la|van|der|von|da|dos) ){{0,2}}{U})+")
 
 
 def candidates(text: str, any_case: bool) -> set[str]:
-    """Bare forms of all words, and of neighbouring words that may be one name; lower-case words are marked."""
-    out = set()
+    """Bare forms of all words, and of neighbouring words that may be one name; words in lower case are marked."""
     words = set(LETTERS.findall(text))
-    for w in words:
-        if len(w) >= 3:
-            out.add(("" if any_case or w[0].isupper() else "\2") + bare(w))
-    for m in CHAIN.finditer(text):
+    out = {bare(w) for w in words if len(w) >= 3} if any_case else {FORMS[w] for w in words if len(w) >= 3}
+    for m in (CHAIN if any_case else CAPITALS).finditer(text):
         parts = LETTERS.findall(m[0])
-        if len(parts) < 2:
-            continue
-        for i in range(len(parts) - 1):
-            if any_case or parts[i][0].isupper() or parts[i] in ("de", "van", "von"):
-                for j in range(i + 2, min(i + 5, len(parts) + 1)):
-                    if any_case or parts[j - 1][0].isupper():
-                        out.add("".join(bare(p) for p in parts[i:j]))
-    for w in [w for w in out if "ae" in w or "oe" in w or "ue" in w]:
-        out.add(w.replace("ae", "a").replace("oe", "o").replace("ue", "u"))
+        if len(parts) > 1:
+            low = [bare(p) for p in parts]
+            out.update("".join(low[i:j]) for i in range(len(low) - 1) for j in range(i + 2, min(i + 5, len(low) + 1)))
+    out.update([w.replace("ae", "a").replace("oe", "o").replace("ue", "u") for w in out if "ae" in w or "oe" in w or "ue" in w])
     return out
 
 
@@ -330,13 +359,17 @@ def kinds_of(table_: pa.Array, keys: pa.Array, places: pa.Array) -> pa.RecordBat
 def found(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str, str]:
     """(key, found: marks of kinds, and bare names) of the records that hold anything."""
     rows = records(spark, sf_dir)
-    names, begin, inside = learnt(rows)
-    marked = F.concat(F.lit("\2"), "word")  # a word in lower case is a name only if it is mostly a last name
-    values = names.select("word", F.col("word").alias("value")).unionByName(names.where("last and length(word) >= 5").select(marked.alias("word"), F.col("word").alias("value")))
-    marks = spark.createDataFrame([(f"\1{k}", f"\1{k}") for k in KINDS], "word string, value string")
     code = F.when(F.col("field") == "url", "2").otherwise("0")
-    batches = encoded(rows.where("length(text) > 0").select("key", F.concat(code, "text")), words_of(begin, inside))
-    out = resolved(batches, values.unionByName(marks), "string", "key long, found array<string>", kinds_of)
+    batches = encoded(rows.where("length(text) > 0").select("key", F.concat(code, "text")), words_of, notes=True)
+    names, begin, inside = learnt(batches)
+    values = names.select("word", F.col("word").alias("value"))
+    marked = F.concat(F.lit("\2"), "word")  # a word in lower case is a name only if it is mostly a last name
+    values = values.unionByName(names.where("last and length(word) >= 5").select(marked.alias("word"), F.col("word").alias("value")))
+    values = values.unionByName(spark.createDataFrame([(f"\1{k}", f"\1{k}") for k in KINDS], "word string, value string"))
+    if begin and inside:
+        han = dictionary(batches).select("word").distinct().where(F.col("word").rlike(rf"^\x{{03}}[{begin}][{inside}]{{1,2}}(?![{inside}])"))
+        values = values.unionByName(han.select("word", F.lit("\1name").alias("value")))
+    out = resolved(batches, values, "string", "key long, found array<string>", kinds_of)
     return out.where("size(found) > 0"), begin, inside
 
 
