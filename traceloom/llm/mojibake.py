@@ -29,6 +29,7 @@ USUAL = {"cp1251": set("ё…»«“”’‘–—№„·§°\xa0"), "cp437":
 LOST = re.compile("�+|锟斤拷|â€|[\x80-\x9f]+|¡[¢£ª\xad®¯°±]")
 WIDE = re.compile("[‐-◿　-鿿가-퟿-＀-￯€\xa0-\xffͰ-ӿ]{2,}")
 HAN = re.compile("[一-鿿]")
+DENSE = re.compile("[\xc0-\xff]{3,}")
 SHORT = re.compile("(?<![^\\W_])[\xc0-\xff]{1,3}(?![^\\W_])")
 NARROW = re.compile("(?=[\xa1-\xbf]*[\xc0-\xff][\xa1-\xbf]*[\xc0-\xff])[\xa1-\xff]{4,}")
 
