@@ -16,7 +16,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from traceloom.store import table
+from traceloom.store import table, written
 
 BUCKETS_PER_TASK = 8
 
@@ -125,6 +125,6 @@ def app_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def heavy_apps(spark: SparkSession, sf_dir: str, share: int = 20) -> DataFrame:
     """Apps that hold at least one row of `share` of all rows as delivered; rows without an app count in the whole."""
-    each = app_activity(spark, sf_dir).groupBy("app_id").agg(F.sum("observations").alias("n"))
+    each = written(app_activity(spark, sf_dir).groupBy("app_id").agg(F.sum("observations").alias("n")), "counts")  # used twice
     whole = each.agg(F.sum("n").alias("whole"))  # one row
     return each.join(F.broadcast(whole)).where(f"app_id is not null and n * {share} >= whole").select("app_id")
