@@ -87,8 +87,9 @@ def weight(c: str) -> int:
 
 def cost(text: str) -> int:
     """Garbling cost: nothing for ASCII, 1 for a letter of any script, 2 for a sign, 3 for a Chinese character outside
-    the usual set, 4 for what no text has."""
-    return sum(map(weight, text))
+    the usual set, 4 for what no text has; one more for each of three and more accented letters in a
+    row."""
+    return sum(map(weight, text)) + sum(len(m) for m in DENSE.findall(text))
 
 
 def from_single(name: str, to: dict[str, int], found: str) -> str | None:
