@@ -155,7 +155,7 @@ def latin_runs(text: str) -> list[tuple[int, int, str]]:
     """Runs shown as Latin-1; short words of the same line are read like the long ones beside them."""
     out, lines = [], {}
     for m in NARROW.finditer(text):
-        if (found := from_latin(m.group())) is not None:
+        if len(set(m.group())) >= 3 and (found := from_latin(m.group())) is not None:
             out.append((m.start(), m.end(), found[0]))
             lines[text.rfind("\n", 0, m.start())] = found[1]
     for begin, name in lines.items():
