@@ -74,7 +74,7 @@ LEAST = 60_000  # runs of the test tables are short; the library's default is 25
 QUERIES = {
     "slices": lambda s, d: slices.slices(s, d).select("device_id", "display", "id", "ts", "end", "app", "kind"),
     "sessions": lambda s, d: slices.sessions(s, d),
-    "sessions_overlapping": lambda s, d: slices.overlapping_sessions(s, d, 1_700_000_000_000, 1_710_000_000_000).select("device_id", "display", "app", "start_ts", "end_ts"),
+    "sessions_overlapping": lambda s, d: slices.overlapping_sessions(s, d, 1_610_000_000_000, 1_610_600_000_000).select("device_id", "display", "app", "start_ts", "end_ts"),
     "session_intervals": slices.session_intervals,
     "session_rollup": ledger.session_rollup,
     "day_ledger_apps": ledger.day_ledger,
@@ -104,7 +104,7 @@ QUERIES = {
 SQL = {
     "slices": f'with {SLICES} select device_id, display, id, ts, "end", app, kind from s',
     "sessions": f"with {SESSIONS} select * from sess",
-    "sessions_overlapping": f"with {SESSIONS} select device_id, display, app, start_ts, end_ts from sess where start_ts < 1710000000000 and end_ts > 1700000000000",
+    "sessions_overlapping": f"with {SESSIONS} select device_id, display, app, start_ts, end_ts from sess where start_ts < 1610600000000 and end_ts > 1610000000000",
     "session_intervals": f"with {SESSIONS}, g as (select *, id - row_number() over (partition by device_id, display, app, session order by id) as r from n) select device_id, display, app, session, min(id) as lo, max(id) as hi from g group by device_id, display, app, session, r",
     "session_rollup": f"with {SESSIONS} select app, count(*) as sessions, sum(dwell_ms) as dwell_ms, sum(active_ms) as active_ms, sum(unknown_ms) as unknown_ms from sess group by 1",
     "day_ledger_apps": f"with {day_ledger_sql('app')} select * from led",
