@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from traceloom.operators import periods, skew
-from traceloom.plans import activity, storage
+from traceloom.plans import activity, retrieval, storage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_found": skew.heavy_apps,
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_apps": periods.period_apps,
     **activity.QUERIES,
     **storage.QUERIES,
+    **retrieval.QUERIES,
 }
 
 LIVE = "live as (select distinct * from observations where deleted_at is null and origin_device is null)"
@@ -34,4 +35,5 @@ SQL: dict[str, str] = {
     "p6_apps": f"{PERIODS} select n.device_id, w.start_ts, n.app_id, count(*) as observations from numbered n join whole w on w.device_id = n.device_id and w.period = n.period group by 1, 2, 3",
     **activity.SQL,
     **storage.SQL,
+    **retrieval.SQL,
 }
