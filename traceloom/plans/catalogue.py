@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from traceloom.operators import periods, skew
-from traceloom.plans import activity, retrieval, storage
+from traceloom.plans import activity, learning, retrieval, storage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_found": skew.heavy_apps,
@@ -18,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **activity.QUERIES,
     **storage.QUERIES,
     **retrieval.QUERIES,
+    **learning.QUERIES,
 }
 
 LIVE = "live as (select distinct * from observations where deleted_at is null and origin_device is null)"
@@ -36,4 +37,5 @@ SQL: dict[str, str] = {
     **activity.SQL,
     **storage.SQL,
     **retrieval.SQL,
+    **learning.SQL,
 }
