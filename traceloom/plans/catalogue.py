@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from traceloom.operators import periods, skew
-from traceloom.plans import activity, learning, retrieval, storage
+from traceloom.plans import activity, learning, retrieval, services, storage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_found": skew.heavy_apps,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **storage.QUERIES,
     **retrieval.QUERIES,
     **learning.QUERIES,
+    **services.QUERIES,
 }
 
 LIVE = "live as (select distinct * from observations where deleted_at is null and origin_device is null)"
@@ -38,4 +39,5 @@ SQL: dict[str, str] = {
     **storage.SQL,
     **retrieval.SQL,
     **learning.SQL,
+    **services.SQL,
 }

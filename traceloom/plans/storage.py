@@ -64,7 +64,7 @@ def _integrity() -> str:
 
 
 SQL = {
-    "apps_from_feed": "with f as (select lower(bundle_id) as k, arg_min(bundle_id, (name, bundle_id)) as bundle_id, arg_min(name, (name, bundle_id)) as name from apps where id % 2 = 1 and lower(bundle_id) not in (select lower(bundle_id) from apps where id % 2 = 0) group by 1) select (select max(id) from apps where id % 2 = 0) + row_number() over (order by k) as id, bundle_id, name from f",
+    "apps_from_feed": "with f as (select lower(bundle_id) as k, arg_min(bundle_id, (name, bundle_id)) as bundle_id, arg_min(name, (name, bundle_id)) as name from apps where lower(name) >= 'l' and lower(bundle_id) not in (select lower(bundle_id) from apps where lower(name) < 'n') group by 1) select (select max(id) from apps where lower(name) < 'n') + row_number() over (order by k) as id, bundle_id, name from f",
     "versions_shown": f"with {OBS} select c.device_id as device, sha256(t.text) as sha256, max(octet_length(encode(t.text))) as byte_len, min(c.id) as first_id, count(*) - 1 as reused from occ c join text_versions t on t.device_id = c.device_id and t.id = c.text_version_id where text is not null group by 1, 2",
     "late_texts": f"with {OBS}, l as (select distinct device_id, observation_id from occ where text_version_id = 2) select l.device_id, l.observation_id, 1::bigint as text_version_id, max(ord) + 1 as ord from l join occ using (device_id, observation_id) group by 1, 2",
     "window_latest": f"with {OBS}, r as (select *, row_number() over (partition by device_id, app_id order by ts desc, id desc) as k from obs where deleted_at is null and app_id is not null and ts is not null) select device_id, app_id, window_id, ts from r where k = 1",
