@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from traceloom.operators import periods, skew
-from traceloom.plans import activity, learning, retrieval, services, storage
+from traceloom.plans import activity, keeping, learning, retrieval, services, storage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_found": skew.heavy_apps,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **retrieval.QUERIES,
     **learning.QUERIES,
     **services.QUERIES,
+    **keeping.QUERIES,
 }
 
 LIVE = "live as (select distinct * from observations where deleted_at is null and origin_device is null)"
@@ -40,4 +41,5 @@ SQL: dict[str, str] = {
     **retrieval.SQL,
     **learning.SQL,
     **services.SQL,
+    **keeping.SQL,
 }
