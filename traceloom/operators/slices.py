@@ -3,7 +3,7 @@
 A slice lasts until the next observation of the same device and display, 90 s at most; the last one of a display has
 length 0. A session is a run of slices of one app: it goes on if the row before on the display has the same app and is
 less than 300 s old, or, after other apps, if the app's own last row is at most 20 s old, which counts as an
-interruption. Null displays and apps are the key -1.
+interruption. Null displays and apps are the key -1, a null device is the device with the empty name.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from traceloom.operators import streams
-from traceloom.store import live, once
+from traceloom.store import BLOCK_MS, live
 
 DWELL_MS, SESSION_MS, RETURN_MS = 90_000, 300_000, 20_000  # fixed values
 UNKNOWN = ("permission_lost", "timeout", "locked")  # fixed values
@@ -29,23 +29,42 @@ def clipped(lo: Column, hi: Column) -> Column:
 
 
 def slices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SES-1: (device_id, display, id, ts, end, app, kind, window_id, url_id, file_id, block)."""
-    rows = once(live(spark, sf_dir, "ts", "display_id", "app_id", "window_id", "url_id", "file_id", "source_state").where("ts is not null"))
+    """SES-1: (device_id, display, id, ts, end, app, kind, window_id, url_id, file_id, block), and for sessions papp and
+    pts: the app of the row before and the last time of the row's own app, if they may matter.
+
+    Rows within 90 s behind a block's end and within 300 s before its begin are in the block too, as ghosts; no rule
+    looks further, but for whether a row is the last of its display. Where a later block has rows, a ghost behind the
+    block's reach stands for them. So one shuffle by block serves all windows."""
+    rows = live(spark, sf_dir, "ts", "display_id", "app_id", "window_id", "url_id", "file_id", "source_state").where("ts is not null")
     rows = rows.withColumn("display", F.coalesce("display_id", F.lit(-1))).withColumn("app", F.coalesce("app_id", F.lit(-1)))
-    rows = streams.lead(streams.blocked(rows), DISPLAY, ["ts"], "next")
-    end = F.least(F.coalesce("next.ts", "ts"), F.col("ts") + DWELL_MS)
-    return rows.withColumn("end", end).withColumn("kind", time_class(F.col("source_state"))).drop("next", "display_id", "app_id", "source_state")
+    rows = streams.blocked(rows.withColumn("device_id", F.coalesce("device_id", F.lit("")))).withColumnRenamed("block", "home").drop("display_id", "app_id")
+    later = F.lead("home").over(Window.partitionBy(*DISPLAY).orderBy("home")).isNotNull()
+    ghosts = rows.groupBy(*DISPLAY, "home").agg(F.lit(True).alias("x")).withColumn("later", later).where("later")
+    ghosts = ghosts.select(*DISPLAY, ((F.col("home") + 1) * BLOCK_MS + DWELL_MS).alias("ts"), F.col("home").alias("block"), F.lit(False).alias("own"))
+    into = F.col("ts") - F.col("home") * BLOCK_MS
+    also = F.array(F.col("home"), F.when(into < DWELL_MS, F.col("home") - 1), F.when(into >= BLOCK_MS - SESSION_MS, F.col("home") + 1))
+    rows = rows.withColumn("block", F.explode(F.filter(also, lambda b: b.isNotNull()))).withColumn("own", F.col("block") == F.col("home")).drop("home")
+    rows = rows.unionByName(ghosts, allowMissingColumns=True).repartition(*DISPLAY, "block")
+    order = Window.partitionBy(*DISPLAY, "block").orderBy("ts", "id")
+    twin = (F.col("ts") == F.lag("ts").over(order)) & F.col("id").eqNullSafe(F.lag("id").over(order))
+    rows = rows.where("id is not null or not own").withColumn("twin", F.coalesce(twin, F.lit(False))).where("not twin").drop("twin")
+    rows = rows.withColumn("next", F.lead("ts").over(order)).withColumn("papp", F.lag("app").over(order))
+    rows = rows.withColumn("pts", F.lag("ts").over(Window.partitionBy(*DISPLAY, "block", "app").orderBy("ts", "id")))
+    rows = rows.where("own").withColumn("end", F.least(F.coalesce("next", "ts"), F.col("ts") + DWELL_MS))
+    return rows.withColumn("kind", time_class(F.col("source_state"))).withColumn("block", F.coalesce("block", F.lit(0))).drop("next", "source_state", "own")
+
+
+def with_begins(rows: DataFrame) -> DataFrame:
+    """SES-2: whether a slice begins a session, and whether it comes back to one after other apps."""
+    age = F.col("ts") - F.col("pts")
+    begins = F.when(F.col("pts").isNull(), 1).when(F.col("papp") == F.col("app"), (age >= SESSION_MS).cast("int")).otherwise((age > RETURN_MS).cast("int"))
+    rows = rows.withColumn("begins", begins)
+    return rows.withColumn("returns", ((F.col("begins") == 0) & (F.col("papp") != F.col("app"))).cast("int")).drop("papp", "pts")
 
 
 def with_sessions(rows: DataFrame) -> DataFrame:
-    """SES-2: slices with `session` (its number for the display and app) and whether the row begins it or comes back."""
-    rows = streams.lag(rows, DISPLAY, ["app"], "before")
-    rows = streams.lag(rows, [*DISPLAY, "app"], ["ts"], "own")
-    age = F.col("ts") - F.col("own.ts")
-    begins = F.when(F.col("own.ts").isNull(), 1).when(F.col("before.app") == F.col("app"), (age >= SESSION_MS).cast("int")).otherwise((age > RETURN_MS).cast("int"))
-    rows = rows.withColumn("begins", begins)
-    rows = rows.withColumn("returns", ((F.col("begins") == 0) & (F.col("before.app") != F.col("app"))).cast("int"))
-    return streams.running_sum(rows, [*DISPLAY, "app"], F.col("begins"), "session").drop("before", "own")
+    """SES-2: slices with `session`, its number for the display and app."""
+    return streams.running_sum(with_begins(rows), [*DISPLAY, "app"], F.col("begins"), "session")
 
 
 def totals(*extra: Column) -> list[Column]:
@@ -55,10 +74,20 @@ def totals(*extra: Column) -> list[Column]:
 
 
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = with_sessions(slices(spark, sf_dir))
-    return rows.groupBy(*DISPLAY, "app", "session").agg(
-        F.min("ts").alias("start_ts"), F.max("end").alias("end_ts"), *totals(F.sum("returns").alias("interruptions"), F.count("*").alias("observations")),
-    )
+    """SES-2, SES-5: sessions are made within the blocks; only a block's first and last one of an app can be parts of a
+    longer one and meet in a second window."""
+    key = [*DISPLAY, "app"]
+    rows = with_begins(slices(spark, sf_dir))
+    own = Window.partitionBy(*key, "block").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("part", F.sum("begins").over(own))  # 0: goes on from the block before
+    names = ("dwell_ms", "active_ms", "unknown_ms", "interruptions", "observations")
+    parts = rows.groupBy(*key, "block", "part").agg(F.min("ts").alias("start_ts"), F.max("end").alias("end_ts"), *totals(F.sum("returns").alias("interruptions"), F.count("*").alias("observations")))
+    last = F.col("part") == F.max("part").over(Window.partitionBy(*key, "block"))
+    parts = parts.withColumn("edge", (F.col("part") == 0) | last).withColumn("slot", F.when(~F.col("edge"), F.col("block")))
+    chain = Window.partitionBy(*key, "edge", "slot").orderBy("block", "part")
+    parts = parts.withColumn("whole", F.sum(F.when(F.col("part") > 0, 1).otherwise(0)).over(chain.rowsBetween(Window.unboundedPreceding, 0)))
+    out = parts.groupBy(*key, "edge", "slot", "whole").agg(F.min("start_ts").alias("start_ts"), F.max("end_ts").alias("end_ts"), *(F.sum(c).alias(c) for c in names))
+    return out.drop("edge", "slot", "whole")
 
 
 def overlapping_sessions(spark: SparkSession, sf_dir: str, lo: int, hi: int) -> DataFrame:

@@ -15,7 +15,7 @@ AT = ("ts", "id")
 
 
 def blocked(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("block", block())
+    return rows.withColumn("block", F.coalesce(block(), F.lit(0)))  # not null, so that plain joins on it are right
 
 
 def _inner(keys: list[str]):
@@ -31,7 +31,8 @@ def _meet(rows: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
     edges = edges.select(*(F.col(k).alias(f"_{k}") for k in on), *(c for c in edges.columns if c not in on))
     match = None
     for k in on:
-        one = F.col(k).eqNullSafe(F.col(f"_{k}"))
+        # equality where no null can be: then the join uses the partitioning of the windows
+        one = F.col(k).eqNullSafe(F.col(f"_{k}")) if rows.schema[k].nullable else F.col(k) == F.col(f"_{k}")
         match = one if match is None else match & one
     return rows.join(edges, match, "left").drop(*(f"_{k}" for k in on))
 

@@ -103,7 +103,7 @@ QUERIES = {
 
 SQL = {
     "slices": f'with {SLICES} select device_id, display, id, ts, "end", app, kind from s',
-    "sessions": f"with {SESSIONS} select * from sess",
+    "sessions": f"with {SESSIONS} select * exclude (session) from sess",
     "sessions_overlapping": f"with {SESSIONS} select device_id, display, app, start_ts, end_ts from sess where start_ts < 1610600000000 and end_ts > 1610000000000",
     "session_intervals": f"with {SESSIONS}, g as (select *, id - row_number() over (partition by device_id, display, app, session order by id) as r from n) select device_id, display, app, session, min(id) as lo, max(id) as hi from g group by device_id, display, app, session, r",
     "session_rollup": f"with {SESSIONS} select app, count(*) as sessions, sum(dwell_ms) as dwell_ms, sum(active_ms) as active_ms, sum(unknown_ms) as unknown_ms from sess group by 1",
