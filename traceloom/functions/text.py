@@ -109,7 +109,7 @@ SECRETS = (
     ("secret", re.compile(r"(?i)\b(?:password|passwd|secret|token|api[_-]?key)\b\s*[:=]\s*[\"']?([^\s\"']{6,})")),
     ("card", re.compile(r"(?<!\d)(?:\d[ -]?){12,18}\d(?!\d)")),
     ("code", re.compile(r"(?i)(?:\b(?:code|otp|verification)\b|验证码)[^\d\n]{0,20}(\d{4,8})(?!\d)")),
-    ("code", re.compile(r"(?i)(?<!\d)(\d{4,8})\b[^\d\n]{0,12}\b(?:is your|code|otp|验证码)")),
+    ("code", re.compile(r"(?i)(?<![\d ])(\d{4,8}) (?:is your|is the)\b[^\d\n]{0,30}?(?:code|otp)|(?<!\d)(\d{4,8})是您的验证码")),
 )
 
 

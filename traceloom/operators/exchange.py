@@ -73,7 +73,7 @@ def tombstones(spark: SparkSession, sf_dir: str) -> DataFrame:
 def archive(spark: SparkSession, sf_dir: str, path: str, start: int, end: int) -> None:
     """SYN-6, SNK-1: live rows of a range with their texts, in JSON lines by day."""
     rows = observations(spark, sf_dir).where((F.col("ts") >= start) & (F.col("ts") < end) & F.col("deleted_at").isNull())
-    rows.withColumn("day", F.floor(F.col("ts") / 86_400_000)).write.partitionBy("day").mode("overwrite").option("compression", "zstd").json(f"{path}/observations")
+    rows.withColumn("day", F.floor(F.col("ts") / 86_400_000)).write.partitionBy("day").mode("overwrite").option("compression", "gzip").json(f"{path}/observations")
     shown = table(spark, sf_dir, "occurrences").dropDuplicates(["device_id", "id"]).join(rows.select("device_id", F.col("id").alias("observation_id")), ["device_id", "observation_id"], "left_semi")
     shown.write.mode("overwrite").json(f"{path}/occurrences")
     used = shown.select("device_id", F.col("text_version_id").alias("id")).distinct()
