@@ -101,7 +101,7 @@ def expiry(spark: SparkSession, sf_dir: str, quota: int) -> DataFrame:
     used = sizes.agg(F.sum("n").alias("used"))
     enough = order.join(F.broadcast(used)).where(F.col("used") - F.col("freed") <= quota)
     need = enough.agg(F.min("k").alias("need"))
-    return used.join(need).select("used", F.when(F.col("used") <= quota, 0).otherwise(F.ceil(F.col("need") / BATCH) * BATCH).alias("expired"), F.when(F.col("used") * 10 >= 8 * F.lit(quota), "warn").otherwise("ok").alias("level"))
+    return used.join(need).select("used", F.when(F.col("used") <= quota, 0).otherwise(F.ceil(F.col("need") / BATCH) * BATCH).alias("expired"), F.when(F.col("used") * 10 >= F.lit(8 * quota), "warn").otherwise("ok").alias("level"))
 
 
 def deleted_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
