@@ -183,8 +183,12 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sliced(text: Column, offset: Column, length: Column) -> Column:
-    """VEC-8: the text of a piece given in bytes."""
-    return F.try_validate_utf8(F.substring(F.encode(text, "UTF-8"), offset.cast("int") + 1, length.cast("int")).cast("string"))
+    """VEC-8: the text of a piece given in bytes. A character that its edges cut becomes U+FFFD; a piece that isn't within
+    the text is null."""
+    data = F.encode(text, "UTF-8")
+    size = F.octet_length(data)
+    inside = length.between(0, size) & offset.between(0, size - length)
+    return F.when(inside, F.make_valid_utf8(F.substring(data, offset.cast("int") + 1, length.cast("int")).cast("string")))
 
 
 def piece_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -231,5 +235,5 @@ def embedded(spark: SparkSession, sf_dir: str, dim: int = DIM) -> DataFrame:
     """VEC-9: the job over waiting chunks: each with the vector of its text."""
     wait = table(spark, sf_dir, "chunks").where("embedded_at is null and offset is not null and len is not null")
     texts = table(spark, sf_dir, "text_versions").select("device_id", F.col("id").alias("text_version_id"), "text")
-    rows = wait.join(texts, ["device_id", "text_version_id"]).select("vrow", F.substring(F.encode("text", "UTF-8"), F.col("offset").cast("int") + 1, F.col("len").cast("int")).cast("string").alias("text"))
+    rows = wait.join(texts, ["device_id", "text_version_id"]).select("vrow", sliced(F.col("text"), F.col("offset"), F.col("len")).alias("text"))
     return rows.mapInPandas(embedded_of(dim), "vrow long, v array<double>")
