@@ -1,9 +1,11 @@
 """Page texts of scanned files (problem 3): what noise they carry, and their repair into readable paragraphs.
 
-Running headers are lines at the top of a page that come again, by a fuzzy form, at the top of other pages of the same
-file: the form leaves out a page number beside the line and maps signs that are taken for each other to one; lines that
-still differ in up to two places are found by the exact match of a third of the form. Page numbers are edge lines, or
-ends of an edge line, that fit the sequence of their file. Lines are joined, and a word broken at a line end is put
+The lines at both edges of a page are compared with those at the same edge of the other pages of its file, by a fuzzy
+form: it leaves out a page number beside the line and maps signs that are taken for each other to one. Forms that still
+differ in up to two places meet by their shingles, of which each form gives so many that no such pair is missed. What
+comes again at the top is a running header, also as second line if it is another page's first; what comes again at the
+bottom is a running footer if at least three pages and half of the file have it, since texts end alike by chance. Page
+numbers are edge lines, or ends of an edge line, that fit the sequence of their file. Lines are joined, and a word broken at a line end is put
 together unless the corpus knows it better as a compound. Misread words are rare words whose form is that of a much
 more frequent word of the corpus.
 
@@ -45,6 +47,10 @@ SPACE = re.compile(r"\r?\n|\f")
 #: Signs that are taken for each other, as one sign each; first those that stand for two.
 TWO = (("m", "rri"), ("n", "ri"), ("d", "ei"), ("u", "ii"), ("w", "vv"), ("ﬁ", "fi"), ("ﬂ", "fl"))
 ONE = ("lcfth013456789@$", "ieeebiieasbebgas")
+DEPTH = {"top": 2, "bottom": 1}  # lines of text that are compared at each edge
+NEAR, SHINGLE = 2, 3  # places in which two running lines may differ; signs of a shingle
+SHORT = NEAR * SHINGLE + SHINGLE  # from this length on, forms that differ in NEAR places share a shingle
+END = 99  # signs at the end of a line in which a page number beside it stands
 LEAST_ODD, LEAST, TIMES = 2, 5, 8  # texts that know the right word: with a digit or sign inside, else; times the misread one
 
 
@@ -73,51 +79,70 @@ def number_of(text: str) -> tuple[str, int]:
     return "roman", total
 
 
-def edges(text: str) -> tuple[str | None, list[tuple[int, str, str]]]:
-    """The line at the top that may be a running header, and the page numbers at the edges: index of the line, how it
-    is written (line, left or right) and the number."""
+def number_beside(s: str, kind: str) -> tuple[str, str] | None:
+    """A page number at the left or right end of a line, and the line without it. Only the end is searched, however long
+    the line is."""
+    if kind == "left":
+        m = LEFT.search(s[:END])
+        return m and (m["n"], s[m.end() :].strip())
+    m = RIGHT.search(s[-END:])
+    return m and (m["n"], s[: max(0, len(s) - END) + m.start()].strip())
+
+
+def edge_lines(text: str) -> tuple[list[tuple[str, int, str]], list[tuple[int, str, str]]]:
+    """The lines of text at both edges that may be running lines: edge, place from there, line without a page number
+    beside it. And the page numbers: index of the line, how it is written (line, left or right) and the number."""
     lines = [(i, s.strip()) for i, s in enumerate(SPACE.split(text)) if s.strip()]
     if not lines:
-        return None, []
-    numbers = []
+        return [], []
+    numbers, left = [], dict(lines)
 
     def number(i: int, s: str, beside: bool) -> str:
         if m := PAGE.fullmatch(s):
             numbers.append((i, "line", m["n"]))
             return ""
-        for kind, pattern in (("left", LEFT), ("right", RIGHT)) if beside and len(s) < 100 else ():
-            if m := pattern.search(s):
-                numbers.append((i, kind, m["n"]))
-                return (s[m.end() :] if kind == "left" else s[: m.start()]).strip()
+        for kind in ("left", "right") if beside else ():
+            if found := number_beside(s, kind):
+                numbers.append((i, kind, found[0]))
+                return found[1]
         return s
 
-    top = number(*lines[0], True)
+    left[lines[0][0]] = first = number(*lines[0], True)
     if len(lines) > 1:
-        if len(lines) > 2 or not top:
-            second = lines[1]
-            if not top:
-                top = second[1] if not PAGE.fullmatch(second[1]) else ""
-            elif len(lines[0][1]) < 60 and lines[0][1][-1] not in ".,;" and PAGE.fullmatch(second[1]):
-                number(*second, False)
-        number(*lines[-1], True)
-    header = top if top and len(top) <= 100 and not HEADING.match(top) and form_of(top) else None
-    return header, numbers
+        i, second = lines[1]
+        if PAGE.fullmatch(second):
+            if not first:
+                left[i] = ""
+            elif len(lines) > 2 and len(lines[0][1]) < 60 and lines[0][1][-1] not in ".,;":
+                left[i] = number(i, second, False)
+        left[lines[-1][0]] = number(*lines[-1], True)
+    rest = [s for s in left.values() if s]
+    found = [("top", k, s) for k, s in enumerate(rest[: DEPTH["top"]])]
+    found += [("bottom", k, s) for k, s in enumerate(rest[: -DEPTH["bottom"] - 1 : -1]) if len(rest) - k > DEPTH["top"]]
+    return [x for x in found if not HEADING.match(x[2]) and form_of(x[2])], numbers
+
+
+def edges(text: str) -> tuple[str | None, list[tuple[int, str, str]]]:
+    """The first line of text, if it may be a running header, and the page numbers."""
+    lines, numbers = edge_lines(text)
+    return next((s for edge, k, s in lines if (edge, k) == ("top", 0)), None), numbers
 
 
 MARKS = "vrow long, file_id long, tag string, a string, b string, n long"
 
 
 def marks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of what the lines of a page show: tag break (a: the word as one, b: as a compound), top (a: form, b: line),
-    number (a: arabic or roman, b: place, n: value) and sign (a ligature)."""
+    """Rows of what the lines of a page show: tag break (a: the word as one, b: as a compound), top (a: form, b: line, n: place),
+    bottom
+    (the same), number (a: arabic or roman, b: place, n: value) and sign (a ligature)."""
     for batch in batches:
         rows = []
         for vrow, file, text in zip(*(batch.column(c).to_pylist() for c in ("vrow", "file_id", "text"))):
             for m in BREAK.finditer(text or ""):
                 rows.append((vrow, file, "break", (m[1] + m[2]).lower(), f"{m[1]}-{m[2]}".lower(), None))
-            header, numbers = edges(text or "")
-            if header:
-                rows.append((vrow, file, "top", form_of(header), header, None))
+            lines, numbers = edge_lines(text or "")
+            for edge, k, line in lines:
+                rows.append((vrow, file, edge, form_of(line), line, k))
             for i, place, n in numbers:
                 kind, value = number_of(n)
                 rows.append((vrow, file, "number", kind, f"{i} {place}", value))
@@ -178,19 +203,50 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return written(texts.join(shown, ["device_id", "id"]).select("vrow", "file_id", "text"), "pages")
 
 
+def edge_forms(marks: DataFrame, texts: DataFrame, edge: str) -> tuple[DataFrame, DataFrame]:
+    """The lines at an edge (vrow, file_id, form, line), and their forms: (file_id, form, pages, place), the place
+    nearest to the edge."""
+    rows = marks.where(F.col("tag") == edge).select("vrow", "file_id", F.col("a").alias("form"), F.col("b").alias("line"), F.col("n").alias("place"))
+    forms = rows.join(texts, ["vrow", "file_id"]).groupBy("file_id", "form").agg(F.count_distinct("hash").alias("pages"), F.min("place").alias("place"))
+    return rows.drop("place"), forms
+
+
+def shingles(line: Column) -> Column:
+    """Of the distinct shingles the first by hash, so many that two lines that differ in up to NEAR places share one:
+    such lines differ in NEAR * SHINGLE shingles at most."""
+    all_ = F.transform(F.sequence(F.lit(1), F.length(line) - SHINGLE + 1), lambda i: F.xxhash64(F.substring(line, i, F.lit(SHINGLE))))
+    return F.slice(F.array_sort(F.array_distinct(all_)), 1, NEAR * SHINGLE + 1)
+
+
+def near_forms(forms: DataFrame) -> DataFrame:
+    """(file_id, form, other, pages, place, other_pages, other_place), each pair in both directions: forms of one edge
+    of a file that differ in up to NEAR places."""
+    a = forms.where(F.length("form") >= SHORT).withColumn("shingle", F.explode(shingles(F.col("form"))))
+    b = a.select("file_id", "shingle", F.col("form").alias("other"), F.col("pages").alias("other_pages"), F.col("place").alias("other_place"))
+    both = a.join(b, ["file_id", "shingle"]).where((F.col("form") != F.col("other")) & F.levenshtein("form", "other", NEAR).between(0, NEAR))
+    return both.drop("shingle").distinct()
+
+
 def running_headers(marks: DataFrame, texts: DataFrame) -> DataFrame:
-    """(vrow, file_id, line) of the lines that come again at the top of other pages of their file."""
-    tops = marks.where("tag = 'top'").select("vrow", "file_id", F.col("a").alias("form"), F.col("b").alias("line"))
-    tops = tops.join(texts, ["vrow", "file_id"])
-    count = tops.groupBy("file_id", "form").agg(F.count_distinct("hash").alias("pages"))
-    again = count.where("pages >= 2").select("file_id", "form")
-    exact = tops.join(again, ["file_id", "form"]).select("vrow", "file_id", "line")
-    third = lambda c: F.posexplode(F.array(*(F.substring(c, F.floor(F.length(c) * k / 3).cast("int") + 1, F.floor(F.length(c) * (k + 1) / 3).cast("int") - F.floor(F.length(c) * k / 3).cast("int")) for k in range(3)))).alias("k", "part")
-    alone = tops.join(again, ["file_id", "form"], "left_anti").where("length(form) >= 9")
-    parts = again.where("length(form) >= 9").select("file_id", F.col("form").alias("header"), third(F.col("form")))
-    near = alone.select("vrow", "file_id", "form", "line", third(F.col("form"))).join(parts, ["file_id", "k", "part"])
-    near = near.where("levenshtein(form, header, 2) between 0 and 2").select("vrow", "file_id", "line")
-    return exact.unionByName(near).distinct()
+    """(vrow, file_id, line) of the lines that come again at the top of other pages of their file. One of the pages has
+    the line as its first."""
+    rows, forms = edge_forms(marks, texts, "top")
+    near = near_forms(forms).where(F.least("place", "other_place") == 0)
+    again = forms.where("pages >= 2 and place = 0").select("file_id", "form").unionByName(near.select("file_id", "form")).distinct()
+    return rows.join(again, ["file_id", "form"]).select("vrow", "file_id", "line").distinct()
+
+
+def running_footers(marks: DataFrame, texts: DataFrame) -> DataFrame:
+    """(vrow, file_id, line) of the lines that come again at the bottom of at least three pages and half of their file."""
+    rows, forms = edge_forms(marks, texts, "bottom")
+    own = forms.where("pages >= 2").select("file_id", F.col("form").alias("other"), "form", "pages")
+    near = near_forms(forms).where("other_pages >= 2").select("file_id", "other", "form", "pages")
+    groups = own.unionByName(near)
+    count = groups.groupBy("file_id", "other").agg(F.sum("pages").alias("n"))
+    whole = texts.groupBy("file_id").agg(F.count_distinct("hash").alias("whole"))
+    again = count.where("n >= 3").join(whole, "file_id").where("2 * n >= whole").select("file_id", "other")
+    forms = groups.join(again, ["file_id", "other"], "left_semi").select("file_id", "form").distinct()
+    return rows.join(forms, ["file_id", "form"]).select("vrow", "file_id", "line").distinct()
 
 
 def page_numbers(marks: DataFrame) -> DataFrame:
@@ -225,8 +281,8 @@ def _spans(places: pa.Array) -> list[tuple[int, int]]:
     return [(s.start, s.stop) for s in out]
 
 
-def analysed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
-    """pages, headers, page numbers, broken words and corrections per page."""
+def analysed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """pages, headers, footers, page numbers, broken words and corrections per page."""
     own = pages(spark, sf_dir)
     known = written(vocabulary(table(spark, sf_dir, "text_versions").select("text")), "vocabulary")
     marks = written(own.mapInArrow(marks_of, MARKS), "marks")
@@ -235,11 +291,11 @@ def analysed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Da
     batches = encoded(own.select("vrow", "text").dropDuplicates(["vrow"]), words_of)
     fixes = resolved(batches, values, "string", "key long, fixes array<string>", fixes_of).where("size(fixes) > 0").withColumnRenamed("key", "vrow")
     signs = marks.where("tag = 'sign'").select("vrow", F.array().cast("array<string>").alias("fixes"))
-    return own, running_headers(marks, texts), page_numbers(marks), broken_words(marks, known), fixes.unionByName(signs)
+    return own, running_headers(marks, texts), running_footers(marks, texts), page_numbers(marks), broken_words(marks, known), fixes.unionByName(signs)
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, headers, numbers, broken, fixes = analysed(spark, sf_dir)
+    _, headers, _, numbers, broken, fixes = analysed(spark, sf_dir)
     kinds = ((headers, "header"), (numbers, "page_number"), (broken, "hyphen"), (fixes, "glyph"))
     out = None
     for rows, kind in kinds:
@@ -248,18 +304,20 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.distinct()
 
 
-def paragraphs(text: str, header: list[str], places: list[str], compounds: set[str], fixes: dict[str, str]) -> str:
-    """Continuous paragraphs of a page: without headers and page numbers, words corrected, lines joined."""
+def paragraphs(text: str, header: list[str], places: list[str], compounds: set[str], fixes: dict[str, str], footer: list[str]) -> str:
+    """Continuous paragraphs of a page: without headers, footers and page numbers, words corrected, lines joined."""
     lines = SPACE.split(text)
     for place in places:
         i, kind = place.split()
         s = lines[int(i)].strip()
-        lines[int(i)] = "" if kind == "line" else (LEFT if kind == "left" else RIGHT).sub("", s)
-    at = next((i for i, s in enumerate(lines) if s.strip()), 0)
-    for i in range(at, min(at + 2, len(lines))):
+        lines[int(i)] = "" if kind == "line" else number_beside(s, kind)[1]
+    there = [i for i, s in enumerate(lines) if s.strip()]
+    for i in there[: DEPTH["top"]]:
         if lines[i].strip() in header:
             lines[i] = ""
-            break
+    for i in there[-DEPTH["bottom"] :]:
+        if lines[i].strip() in footer:
+            lines[i] = ""
     text = "\n".join(lines).strip("\n")
     text = BREAK.sub(lambda m: m[1] + m[2] if f"{m[1]}-{m[2]}".lower() in compounds else f"{m[1]}-{m[2]}", text)
 
@@ -277,16 +335,17 @@ def paragraphs(text: str, header: list[str], places: list[str], compounds: set[s
 
 def texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        cols = [b.column(c).to_pylist() for c in ("text", "header", "places", "compounds", "fixes")]
-        out = [paragraphs(t or "", h or [], p or [], set(c or []), dict(x.split("\0") for x in f or [])) for t, h, p, c, f in zip(*cols)]
+        cols = [b.column(c).to_pylist() for c in ("text", "header", "places", "compounds", "fixes", "footer")]
+        out = [paragraphs(t or "", h or [], p or [], set(c or []), dict(x.split("\0") for x in f or []), e or []) for t, h, p, c, f, e in zip(*cols)]
         yield pa.RecordBatch.from_arrays([b.column("vrow"), b.column("file_id"), pa.array(out, pa.string())], ["vrow", "file_id", "text"])
 
 
 def p3_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(vrow, file_id, text): the readable text of every page. What is collected per page are marks of its own lines."""
-    own, headers, numbers, broken, fixes = analysed(spark, sf_dir)
+    own, headers, footers, numbers, broken, fixes = analysed(spark, sf_dir)
     key = ["vrow", "file_id"]
     rows = own.join(headers.groupBy(*key).agg(F.collect_set("line").alias("header")), key, "left")
+    rows = rows.join(footers.groupBy(*key).agg(F.collect_set("line").alias("footer")), key, "left")
     rows = rows.join(numbers.groupBy(*key).agg(F.collect_set("place").alias("places")), key, "left")
     rows = rows.join(broken.groupBy(*key).agg(F.collect_set("compound").alias("compounds")), key, "left")
     rows = rows.join(fixes.groupBy("vrow").agg(F.flatten(F.collect_list("fixes")).alias("fixes")), "vrow", "left")
